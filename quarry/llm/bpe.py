@@ -219,7 +219,7 @@ class PieceEncoder:
             self.spaced.clear()
         if len(self.bare) > self.keep:
             self.bare.clear()
-        a, b = list(spaced - self.spaced.keys()), list(bare - self.bare.keys())
+        a, b = list(spaced.difference(self.spaced)), list(bare.difference(self.bare))
         found = self._learn([" " + p for p in a] + b)
         self.spaced.update(zip(a, found, strict=False))
         self.bare.update(zip(b, found[len(a) :], strict=True))

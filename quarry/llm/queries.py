@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import codec, common, packing, topk, training_order
+from quarry.llm import archive, codec, common, langid, near_duplicates, packing, topk, toxicity, training_order
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,3 +52,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_topk": op4_exact_topk,
 }
 ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
+
+
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC files of both versions, converted to WARC files, which are read back."""
+    arc, warc = common.new_path(spark, "arc"), common.new_path(spark, "warc")
+    archive.write_arc(common.table(spark, sf_dir, "pages"), arc)
+    archive.write_warc(common.read_blobs(spark, arc), warc)
+    return archive.read_warc(spark, warc).drop("url")
+
+
+QUERIES["op6_arc_to_warc"] = op6_arc_to_warc
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_language_id"] = op9_language_id
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+QUERIES["op10_toxicity"] = op10_toxicity
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.join(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_jaccard_join"] = op8_jaccard_join
