@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import archive, codec, common, langid, near_duplicates, packing, topk, toxicity, training_order
+from quarry.llm import archive, codec, common, langid, line_dedup, near_duplicates, packing, topk, toxicity, training_order
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -84,3 +84,26 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_jaccard_join"] = op8_jaccard_join
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(common.table(spark, sf_dir, "documents"))
+
+
+#: What op5 returns, in SQL: all pairs of different lines that share a shingle.
+OP5_SQL = """
+WITH l AS (SELECT doc_id, pos - 1 AS pos, list_filter(string_split(translate(lower(line), chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id IS NOT NULL)),
+k AS (SELECT doc_id, pos, array_to_string(w, ' ') AS lid, w FROM l WHERE len(w) > 0),
+f AS (SELECT lid, min((doc_id, pos)) AS first, any_value(w) AS w FROM k GROUP BY lid),
+s AS (SELECT lid, first, list_distinct(CASE WHEN len(w) < 5 THEN [lid] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS t FROM f),
+x AS (SELECT lid, first, len(t) AS n, unnest(t) AS g FROM s),
+c AS (SELECT a.lid, count(*) AS inter, any_value(a.n) AS n, any_value(b.n) AS m FROM x a JOIN x b ON a.g = b.g AND b.first < a.first GROUP BY a.lid, b.lid),
+near AS (SELECT DISTINCT lid FROM c WHERE inter >= 0.8 * (n + m - inter) - 1e-9),
+gone AS (SELECT k.doc_id, k.pos FROM k JOIN f USING (lid) LEFT JOIN near USING (lid) WHERE near.lid IS NOT NULL OR (k.doc_id, k.pos) <> f.first),
+r AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN r USING (doc_id)
+"""
+QUERIES["op5_line_dedup"] = op5_line_dedup
+ORACLE_SQL["op5_line_dedup"] = OP5_SQL
