@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import archive, codec, common, langid, line_dedup, near_duplicates, packing, topk, toxicity, training_order
+from quarry.llm import archive, audio, codec, common, langid, line_dedup, near_duplicates, packing, topk, toxicity, training_order
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -107,3 +107,12 @@ FROM documents d LEFT JOIN r USING (doc_id)
 """
 QUERIES["op5_line_dedup"] = op5_line_dedup
 ORACLE_SQL["op5_line_dedup"] = OP5_SQL
+
+
+def op7_chroma_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so every vector of embeddings is made audible first."""
+    prints = audio.fingerprints(common.table(spark, sf_dir, "embeddings"), audio.sonified, ["embedding"], "vec_id")
+    return audio.match(prints).withColumnsRenamed({"id": "vec_id", "n": "n_values", "crc": "values_crc32"})
+
+
+QUERIES["op7_chroma_match"] = op7_chroma_match
