@@ -26,6 +26,12 @@ from quarry.llm.common import stage
 BUCKETS = 1 << 15
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator, into which the optimizer does not merge what uses them: inside a lambda, a merged expression
+    would be evaluated for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def words_of(line: Column) -> Column:
     """Runs of anything but blanks, in lower case."""
     return F.filter(F.split(F.translate(F.lower(line), "\t\r\f\u000b", "    "), " "), lambda w: w != "")
@@ -41,11 +47,11 @@ def tokens_of(words: Column, size: Column, n: int) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), pos, w (words) of every line that has words."""
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return named.select("doc_id", "th", "pos", words_of(F.col("line")).alias("w")).where(F.size("w") > 0)
+    return once(named, w=words_of(F.col("line"))).drop("line").where(F.size("w") > 0)
 
 
 def _tokened(lines: DataFrame, n: int) -> DataFrame:
-    return lines.withColumn("lid", F.xxhash64("w")).withColumn("t", tokens_of(F.col("w"), F.size("w"), n)).drop("w")
+    return once(lines, lid=F.xxhash64("w"), t=tokens_of(F.col("w"), F.size("w"), n)).drop("w")
 
 
 def _rarity(lines: DataFrame) -> Column:
@@ -86,7 +92,8 @@ def matches(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[DataFr
     # token sets of the lines that share a prefix token with another
     wanted = posted.select("lid", "first").distinct().select("first.*").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("wanted"))
     some = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").where(F.col("th") == F.xxhash64("text"))
-    some = some.select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "wanted").where(F.array_contains("wanted", F.col("pos"))).select(words_of(F.col("line")).alias("w"))
+    some = some.select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "wanted").where(F.array_contains("wanted", F.col("pos")))
+    some = once(some, w=words_of(F.col("line"))).select("w")
     sets = stage(_tokened(some, n).dropDuplicates(["lid"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
