@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.langid import held_out
+from quarry.llm.line_dedup import once
 
 #: Words near a find that tell quotation, report or denial from abuse, and those that address a reader, in four languages.
 REPORT = set("said says say wrote writes quoted quote quotes called calls term word phrase reported sagte schrieb nannte wort begriff zitat dit écrit appelé mot terme citation dijo escribió llamó palabra término cita".split())
@@ -245,9 +246,11 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 12_00
         return Scorer({}, {}, None)
     chosen = F.broadcast(spark.createDataFrame(ids.astype({"doc_id": "int64"}), "doc_id long, toxic int"))  # `sample` rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    # near copies mostly share the least hash of their words; one of them counts, or a copied text would fill the lexicon
-    least = F.array_min(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\W+"), lambda w: F.xxhash64(w)))
-    apart = rows.withColumn("least", least).dropDuplicates(["least", "toxic"]).drop("least")
+    # near copies mostly share the least hash of their word triples; one of them counts, or a copied text would fill the lexicon
+    split = once(rows, w=F.split(F.lower(F.coalesce("text", F.lit(""))), r"\W+"))
+    triples = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(3)]))
+    least = F.when(F.size("w") < 3, F.xxhash64("w")).otherwise(F.array_min(triples))
+    apart = split.withColumn("least", least).dropDuplicates(["least", "toxic"]).drop("least", "w")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of: dict[tuple[bool, int], Counter] = {(s, y): Counter() for s in (False, True) for y in (0, 1)}
