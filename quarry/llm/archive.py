@@ -37,12 +37,13 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 END = "\0"
+LEVEL = 5
 #: Fixed value: the profile of revisits whose payload is the same.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def packed(data: bytes) -> bytes:
-    c = zlib.compressobj(1, zlib.DEFLATED, 31)
+    c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
 
 
