@@ -76,7 +76,7 @@ def _possible(t: float) -> Column:
 def matches(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Of every line with words: its place and lid; and of every lid its first place and whether an earlier line matches it."""
     lines = _tokened(_lines(docs), n)
-    places = stage(lines.select("doc_id", "th", "pos", "lid"), "places")
+    places = stage(_lines(docs).select("doc_id", "th", "pos", F.xxhash64("w").alias("lid")), "places")
     first = places.groupBy("lid").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"))
 
     counts = _rarity(lines)
