@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are the word 5-shingles of its lower-cased words (a shorter line is one token). Equal lines are one line from the
-start. Tokens are put in one global order by rarity: the counts of all tokens of all lines, gathered in a table of a fixed number of
+start; lines that differ in case or blanks only have equal tokens and match like any others. Tokens are put in one global order by rarity: the counts of all tokens of all lines, gathered in a table of a fixed number of
 buckets, then the token's hash. Two lines at the threshold share a token among the first n - ceil(t * n) + 1 of each (prefix filter);
 lengths must allow the threshold (length filter), and so must what is left of both lines after the shared token (positional filter).
 Candidates are verified on their whole sets. A line goes if an earlier line, by doc_id and position of first occurrence, is a match,
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stage
 
 BUCKETS = 1 << 15
+BLANKS = " \t\r\f\u000b"
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -33,8 +34,10 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def words_of(line: Column) -> Column:
-    """Runs of anything but blanks, in lower case."""
-    return F.filter(F.split(F.translate(F.lower(line), "\t\r\f\u000b", "    "), " "), lambda w: w != "")
+    """Runs of anything but blanks, in lower case. The few lines with other blanks than spaces are translated first: that is slow."""
+    low = F.lower(line)
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\u000b"))
+    return F.array_remove(F.split(F.when(other, F.translate(low, BLANKS[1:], "    ")).otherwise(low), " "), "")
 
 
 def tokens_of(words: Column, size: Column, n: int) -> Column:
@@ -45,18 +48,24 @@ def tokens_of(words: Column, size: Column, n: int) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), pos, w (words) of every line that has words."""
+    """doc_id, th (hash of the text), pos, line and lid (its hash) of every line that has words."""
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return once(named, w=words_of(F.col("line"))).drop("line").where(F.size("w") > 0)
+    return named.where(F.trim("line", F.lit(BLANKS)) != "").withColumn("lid", F.xxhash64("line"))
+
+
+def _worded(lines: DataFrame) -> DataFrame:
+    return once(lines, w=words_of(F.col("line"))).drop("line")
 
 
 def _tokened(lines: DataFrame, n: int) -> DataFrame:
-    return once(lines, lid=F.xxhash64("w"), t=tokens_of(F.col("w"), F.size("w"), n)).drop("w")
+    return once(_worded(lines), t=tokens_of(F.col("w"), F.size("w"), n)).drop("w")
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """The counts of all buckets, a constant of fixed size."""
-    tokens = lines.select(F.explode("t").alias("x"))
+def _rarity(lines: DataFrame, n: int) -> Column:
+    """The counts of all buckets, a constant of fixed size. Shingles are hashed from exploded positions, outside lambdas, which
+    compiles; xxhash64 skips the nulls past the end of a line shorter than n, so its one token is the hash of its words here, too."""
+    places = _worded(lines).select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))).alias("i"))
+    tokens = places.select(F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(n)]).alias("x"))
     counted = tokens.groupBy(F.shiftrightunsigned("x", 49).cast("int").alias("bucket")).count()
     counts = {r["bucket"]: r["count"] for r in counted.collect()}
     return F.split(F.lit(",".join(str(min(counts.get(b, 0), 2**22)) for b in range(BUCKETS))), ",").cast("array<int>")
@@ -75,11 +84,11 @@ def _possible(t: float) -> Column:
 
 def matches(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Of every line with words: its place and lid; and of every lid its first place and whether an earlier line matches it."""
-    lines = _tokened(_lines(docs), n)
-    places = stage(_lines(docs).select("doc_id", "th", "pos", F.xxhash64("w").alias("lid")), "places")
+    lines = _tokened(_lines(docs).select("line", "lid"), n)
+    places = stage(_lines(docs).select("doc_id", "th", "pos", "lid"), "places")
     first = places.groupBy("lid").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"))
 
-    counts = _rarity(lines)
+    counts = _rarity(_lines(docs).select("line"), n)
     low = (1 << 40) - 1
     key = F.transform("t", lambda x: F.shiftleft(F.get(counts, F.shiftrightunsigned(x, 49).cast("int")).cast("long"), 40).bitwiseOR(x.bitwiseAND(F.lit(low))))
     size = F.size("t")
@@ -93,7 +102,7 @@ def matches(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[DataFr
     wanted = posted.select("lid", "first").distinct().select("first.*").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("wanted"))
     some = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").where(F.col("th") == F.xxhash64("text"))
     some = some.select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "wanted").where(F.array_contains("wanted", F.col("pos")))
-    some = once(some, w=words_of(F.col("line"))).select("w")
+    some = some.select("line", F.xxhash64("line").alias("lid"))
     sets = stage(_tokened(some, n).dropDuplicates(["lid"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
