@@ -24,21 +24,38 @@ from quarry.llm import tokens
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def pieces_of(at: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of n >= 1 ids at these places in the stream, for every piece: the document's row, the sequence, and the places in
+    the stream of its first id and of the one after its last."""
+    first, count = at // window, (at + n - 1) // window - at // window + 1
+    row = np.repeat(np.arange(len(at)), count)
+    sequence = first[row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    return row, sequence, np.maximum(at[row], sequence * window), np.minimum((at + n)[row], (sequence + 1) * window)
+
+
+def places(frame: pd.DataFrame, bases: dict[int, int]) -> np.ndarray:
+    """The place in the stream of each document of a frame of tokenised documents."""
+    return frame["part"].map(bases).to_numpy(np.int64) + frame["before"].to_numpy(np.int64)
+
+
 def cut(staged: DataFrame, bases: dict[int, int], window: int = 1024, with_ids: bool = True) -> DataFrame:
     """The pieces of tokenised documents; ids: four little-endian bytes each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
-            for part, before, doc_id, n, ids in zip(frame["part"], frame["before"], frame["doc_id"].astype("Int64"), frame["n"], frame["ids"], strict=True):
-                at = bases[part] + before
-                raw = memoryview(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes())
-                edges = [at, *range((at // window + 1) * window, at + n, window), at + n]
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    piece = raw[4 * (a - at) : 4 * (b - at)]
-                    for k, v in zip(out, (doc_id, a - at, b - a, zlib.crc32(piece), n, a // window, a % window, bytes(piece) if with_ids else None), strict=True):
-                        out[k].append(v)
-            yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+            at, n = places(frame, bases), frame["n"].to_numpy(np.int64)
+            row, sequence, a, b = pieces_of(at, n, window)
+            crc, ids, now, raw = [], [], -1, memoryview(b"")
+            for r, i, j in zip(row.tolist(), (4 * (a - at[row])).tolist(), (4 * (b - at[row])).tolist(), strict=True):
+                if r != now:
+                    held = frame["ids"].iat[r]
+                    now, raw = r, memoryview(np.frombuffer(held, "<u2" if len(held) == 2 * n[r] else "<u4").astype("<u4").tobytes())
+                crc.append(zlib.crc32(raw[i:j]))
+                ids.append(bytes(raw[i:j]) if with_ids else None)
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"].astype("Int64").array[row], "start": a - at[row], "length": b - a, "ids_crc32": crc,
+                "doc_tokens": n[row], "sequence_id": sequence, "offset": a % window, "ids": ids,
+            })
 
     return staged.mapInPandas(run, SCHEMA)
 

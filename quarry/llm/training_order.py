@@ -83,18 +83,21 @@ def shards(docs: DataFrame, tokenizer: str, key: int, path: str, window: int = 1
     n = -(-total // window)
     order, width = Permutation(max(n, 1), key), load(tokenizer).dtype.itemsize
 
-    def placed(with_ids: bool, schema: str) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            for f in frames:
-                kept = {"slot": order.slot(f["sequence_id"].to_numpy()), "offset": f["offset"], "sequence_id": f["sequence_id"]}
-                if with_ids:
-                    kept["ids"] = [squeeze(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in f["ids"]]
-                else:
-                    kept |= {"doc_id": f["doc_id"].astype("Int64"), "start": f["start"], "length": f["length"]}
-                yield pd.DataFrame(kept)
-
-        return packing.cut(staged, bases, window, with_ids).mapInPandas(run, schema)
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for f in frames:
+            at = packing.places(f, bases)
+            row, sequence, a, b = packing.pieces_of(at, f["n"].to_numpy(np.int64), window)
+            begin, end, held = (a - at[row]) * width, (b - at[row]) * width, [memoryview(x) for x in f["ids"]]
+            ids = [squeeze(held[r][i:j]) for r, i, j in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True)]
+            yield pd.DataFrame({"slot": order.slot(sequence), "offset": a % window, "sequence_id": sequence, "ids": ids})
+
+    def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            at = packing.places(f, bases)
+            row, sequence, a, b = packing.pieces_of(at, f["n"].to_numpy(np.int64), window)
+            ids = f["doc_id"].astype("Int64").array[row]
+            yield pd.DataFrame({"slot": order.slot(sequence), "offset": a % window, "sequence_id": sequence, "doc_id": ids, "start": a - at[row], "length": b - a})
 
     def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_up = zstandard.ZstdDecompressor().decompress
@@ -126,9 +129,10 @@ def shards(docs: DataFrame, tokenizer: str, key: int, path: str, window: int = 1
     count = -(-n // shard_slots)
     parts = max(1, min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 4))))
     by_range = F.floor(F.floor(F.col("slot") / shard_slots) * parts / max(count, 1)).cast("int")
-    ranged = placed(True, "slot long, offset long, sequence_id long, ids binary").repartitionById(parts, by_range)
+    ranged = staged.mapInPandas(placed, "slot long, offset long, sequence_id long, ids binary").repartitionById(parts, by_range)
     common.write_blobs(ranged.sortWithinPartitions("slot", "offset").mapInPandas(written, "blob binary"), path, "\n")
-    return n, placed(False, "slot long, offset long, sequence_id long, doc_id long, start long, length long")
+    index = staged.select("part", "before", "doc_id", "n")  # the ids are not read again
+    return n, index.mapInPandas(indexed, "slot long, offset long, sequence_id long, doc_id long, start long, length long")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

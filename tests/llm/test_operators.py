@@ -82,6 +82,11 @@ def test_packing_and_training_order(spark, docs, truth):
     order = training_order.Permutation(n, 7)
     assert all(order.slot(np.array([r["sequence_id"]]))[0] == r["slot"] == 10 * r["shard"] + (r["byte_offset"] - 32) // (16 + 128) for r in held)
     assert index.agg(F.sum("length")).first()[0] == total
+    laid: dict[int, list[int]] = {}
+    for r in sorted(index.collect(), key=lambda r: (r["slot"], r["offset"])):
+        assert len(laid.setdefault(r["slot"], [])) == r["offset"]
+        laid[r["slot"]] += ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+    assert {r["slot"]: np.frombuffer(r["ids"], "<u4").tolist() for r in held} == laid
     assert training_order.shards(docs.limit(0), PATH, 7, common.new_path(spark, "t"))[0] == 0
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
