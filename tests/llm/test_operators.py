@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import archive, audio, bpe, codec, common, langid, line_dedup, near_duplicates, packing, topk, toxicity, training_order
+from quarry.llm import archive, audio, bpe, codec, common, langid, line_dedup, near_duplicates, packing, tokens, topk, toxicity, training_order
 from quarry.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +91,14 @@ def test_packing_and_training_order(spark, docs, truth):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("at", [0, 1, 249, 250, 1999, 2000, 3999])
+def test_long_runs(at):
+    for run in ("x" * 4000, " " * 500, "\n\t" * 250, "x" * 3999, " " * 499, "\u3000" * 500):
+        text = "ab " * (at // 3) + "a" * (at % 3) + " a" + run + "\nb c"
+        assert tokens.has_long_run(text) == bool(tokens._RUN.search(text))
+    assert not tokens.has_long_run("") and not tokens.has_long_run("a\n" * 5000)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000])
 def test_permutation(n):
     p = training_order.Permutation(n, 3)
