@@ -288,3 +288,22 @@ def test_audio(spark):
     got = {x["id"]: (x["class_id"], x["n_links"], x["n_copies"]) for x in audio.match(audio.fingerprints(df, lambda w: w, ["wav"], "id")).collect()}
     assert got == {1: (1, 1, 2), 2: (1, 1, 2), 3: (1, 1, 1), 4: (4, 0, 1), 5: (5, 0, 2), 6: (5, 0, 2), None: (None, None, None)}
     assert audio.match(audio.fingerprints(df.limit(0), lambda w: w, ["wav"], "id")).count() == 0
+
+
+def test_audio_excerpts_and_noise(spark):
+    """Excerpts of less than half, noise and cuts off the hop match exactly where all offsets of all pairs say so."""
+    r = np.random.default_rng(7)
+    tune = lambda n: np.concatenate([0.4 * np.sin(2 * np.pi * 220 * 2 ** (t / 12) * np.arange(3000) / audio.RATE) for t in r.integers(0, 24, n)])
+    a, b, c = tune(60), tune(60), tune(12)
+    made = [a, a[audio.HOP * 60 : audio.HOP * 100], a[audio.HOP * 60 + 512 : audio.HOP * 100], a + r.normal(0, 0.3, len(a)), a[300:], b, b[audio.HOP * 90 + 400 : audio.HOP * 140] + r.normal(0, 0.1, audio.HOP * 50 - 400), c, c[audio.HOP * 5 :], tune(60)]
+    df = spark.createDataFrame([(k, bytearray(audio.wav(x))) for k, x in enumerate(made)], "id long, wav binary").repartition(3)
+    lists = [audio.fingerprint(audio.samples(audio.wav(x))) for x in made]
+    want = {k: 0 for k in range(len(made))}
+    for i, j in itertools.combinations(range(len(made)), 2):
+        hit = audio.align(lists[i], lists[j])[2] <= 0.15
+        want[i] += hit
+        want[j] += hit
+    assert all(want[k] for k in range(9)) and want[9] == 0 and 2 * len(lists[1]) < len(lists[0])
+    got = {x["id"]: (x["class_id"], x["n_links"]) for x in audio.match(audio.fingerprints(df, lambda w: w, ["wav"], "id")).collect()}
+    assert {k: v[1] for k, v in got.items()} == want
+    assert [got[k][0] for k in range(10)] == [0, 0, 0, 0, 0, 5, 5, 7, 7, 9]
