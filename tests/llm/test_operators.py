@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import io
 import itertools
 import random
 import re
+import wave
 import zlib
 
 import numpy as np
@@ -307,3 +309,26 @@ def test_audio_excerpts_and_noise(spark):
     got = {x["id"]: (x["class_id"], x["n_links"]) for x in audio.match(audio.fingerprints(df, lambda w: w, ["wav"], "id")).collect()}
     assert {k: v[1] for k, v in got.items()} == want
     assert [got[k][0] for k in range(10)] == [0, 0, 0, 0, 0, 5, 5, 7, 7, 9]
+
+
+def test_audio_widths_and_short_recordings(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([0.5 * np.sin(2 * np.pi * 220 * 2 ** (t / 12) * np.arange(3000) / audio.RATE) for t in r.integers(0, 24, 20)])
+
+    def wav(x, wide):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(wide)
+            f.setframerate(audio.RATE)
+            ints = np.round(x * (2 ** (8 * wide - 1) - 1)).astype(np.int64)
+            f.writeframes((ints + 128).astype(np.uint8).tobytes() if wide == 1 else b"".join(int(v).to_bytes(wide, "little", signed=True) for v in ints))
+        return out.getvalue()
+
+    for wide in (1, 2, 3, 4):
+        assert np.abs(audio.samples(wav(x, wide)) - x).max() < 0.02 and audio.differ(audio.fingerprint(audio.samples(wav(x, wide))), audio.fingerprint(x), 0) < 0.1
+    data = [wav(x[:9000], 2), wav(x[9000:18000], 2), wav(x[:9000], 2), None, b"no", wav(x, 1), wav(x, 4)]
+    df = spark.createDataFrame([(k, bytearray(b) if b else None) for k, b in enumerate(data)], "id long, wav binary")
+    got = {x["id"]: (x["n"] > 0, x["class_id"], x["n_copies"]) for x in audio.match(audio.fingerprints(df, lambda w: w, ["wav"], "id")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {0: (False, 0), 1: (False, 1), 2: (False, 0), 3: (False, 3), 4: (False, 3), 5: (True, 5), 6: (True, 5)}
+    assert [got[k][2] for k in range(5)] == [2, 1, 2, 2, 2]
