@@ -332,3 +332,11 @@ def test_audio_widths_and_short_recordings(spark):
     got = {x["id"]: (x["n"] > 0, x["class_id"], x["n_copies"]) for x in audio.match(audio.fingerprints(df, lambda w: w, ["wav"], "id")).collect()}
     assert {k: v[:2] for k, v in got.items()} == {0: (False, 0), 1: (False, 1), 2: (False, 0), 3: (False, 3), 4: (False, 3), 5: (True, 5), 6: (True, 5)}
     assert [got[k][2] for k in range(5)] == [2, 1, 2, 2, 2]
+
+
+def test_audible_vectors_of_any_size():
+    r = np.random.default_rng(5)
+    one, two = r.integers(0, 2, (2, 64)).astype(float)
+    heard = lambda v: audio.fingerprint(audio.samples(audio.sonified(v)))
+    assert audio.align(heard(one), heard(two))[2] > 0.15
+    assert (heard(one) == heard(1e200 * one)).all() and len(heard(np.zeros(64))) == 50
