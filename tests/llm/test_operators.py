@@ -340,3 +340,40 @@ def test_audible_vectors_of_any_size():
     heard = lambda v: audio.fingerprint(audio.samples(audio.sonified(v)))
     assert audio.align(heard(one), heard(two))[2] > 0.15
     assert (heard(one) == heard(1e200 * one)).all() and len(heard(np.zeros(64))) == 50
+
+
+def test_one_of_each_tells_rows_by_id_and_text(spark):
+    """Of rows (id, text) only later members of a group and repeated rows go, whatever ids they share."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    given = [(3, a), (5, a), (5, b), (9, c), (9, d), (9, d), (None, a), (7, None), (8, "")]
+    kept = near_duplicates.one_of_each(rows(spark, [t for _, t in given], [i for i, _ in given]).repartition(3)).collect()
+    assert sorted(((x["doc_id"], x["text"]) for x in kept), key=str) == sorted([(3, a), (5, b), (9, c), (9, d), (None, a), (7, None)], key=str)
+    assert near_duplicates.one_of_each(rows(spark, [])).count() == 0
+
+
+def test_near_duplicates_of_a_hot_group(spark):
+    """2000 near copies of one text in buckets beyond `block` and in many parts: classes and links equal brute force."""
+    r = np.random.default_rng(13)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[:k] + [f"x{n}"] + base[k + 1 :]) for n, k in enumerate(r.integers(0, 60, 2000))]
+    df = rows(spark, texts + ["other words than those of the group"]).repartition(4)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in near_duplicates.join(df, block=300, part_rows=500).collect()}
+    column = {}
+    have = np.zeros((2000, 2100 * 8), np.float32)
+    for k, t in enumerate(texts):
+        for s in sets(t):
+            j = column.setdefault(s, len(column))
+            if j < have.shape[1]:
+                have[k, j] = 1
+    assert len(column) <= have.shape[1]
+    inter = have @ have.T
+    size = have.sum(1)
+    alike = inter >= 0.8 * (size[:, None] + size[None, :] - inter) - 1e-9
+    assert [got[k][1] for k in range(2000)] == (alike.sum(1) - 1).tolist() and got[2000] == (2000, 0)
+    assert {got[k][0] for k in range(2000)} == {0}
+
+
+def test_bloom_filter_keeps_every_member(spark):
+    ids = [0, 1, -5, 2**62, -(2**63), *range(1000, 3000)]
+    table = near_duplicates.membership(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    assert near_duplicates.maybe_in(table, np.array(ids)).all() and near_duplicates.maybe_in(table, np.arange(10**6, 2 * 10**6)).mean() < 0.001
