@@ -34,11 +34,13 @@ def stage(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_blobs(df: DataFrame, path: str, end: str) -> None:
-    """Each row of the binary column `blob` becomes one file, followed by the bytes of `end`.
+def write_blobs(df: DataFrame, path: str, end: str, folder: str | None = None) -> None:
+    """Each row of the binary column `blob` becomes one file, followed by the bytes of `end`, below a folder for each value of the
+    column `folder`.
 
     The text writer copies a string's bytes unchanged, so this works on any file system that Spark can write."""
-    df.selectExpr("cast(blob as string) as value").write.option("lineSep", end).option("maxRecordsPerFile", 1).text(path)
+    own = [folder] if folder else []
+    df.selectExpr(*own, "cast(blob as string) as value").write.partitionBy(*own).option("lineSep", end).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:

@@ -14,9 +14,12 @@ Defined cases: as for packing; an empty table writes no shard. Repeated rows are
 
 from __future__ import annotations
 
+import io
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -74,7 +77,36 @@ class Permutation:
         return self._walk(slot, self.keys[::-1], True)
 
 
-def shards(docs: DataFrame, tokenizer: str, key: int, path: str, window: int = 1024, end_id: int = 0, pad_id: int = 0, shard_slots: int = 4096) -> tuple[int, DataFrame]:
+def batch(slot: np.ndarray, sequence: np.ndarray, offset: np.ndarray, length: np.ndarray, ids: list) -> bytes:
+    """Pieces, packed; their ids follow one another."""
+    columns = [slot.astype("<i8"), sequence.astype("<i8"), offset.astype("<i4"), length.astype("<i4")]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([struct.pack("<Q", len(slot)), *(c.tobytes() for c in columns), *ids]))
+
+
+def unbatch(blob: bytes, width: int) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 8, []
+    n = struct.unpack_from("<Q", raw)[0]
+    for kind in ("<i8", "<i8", "<i4", "<i4"):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return [*out, np.frombuffer(raw, f"<u{width}", -1, at)]
+
+
+def shard_bytes(k: int, records: int, blobs: list[bytes], window: int, width: int, shard_slots: int, pad_id: int) -> bytes:
+    """The file of the k-th shard, from the batches of its pieces in any order."""
+    slot, sequence, offset, length, ids = (np.concatenate(x) for x in zip(*(unbatch(b, width) for b in blobs), strict=True))
+    body = np.zeros(records, [("sequence", "<u8"), ("n", "<u4"), ("crc", "<u4"), ("ids", f"<u{width}", window)])
+    row, length = slot - k * shard_slots, length.astype(np.int64)
+    body["sequence"][row] = sequence
+    body["n"] = np.bincount(row, length, records)
+    body["ids"] = pad_id
+    begin = np.cumsum(length) - length
+    body["ids"][np.repeat(row, length), np.repeat(offset - begin, length) + np.arange(len(ids))] = ids
+    body["crc"] = [zlib.crc32(x[:n].astype("<u4").tobytes()) for x, n in zip(body["ids"], body["n"].tolist(), strict=True)]
+    return struct.pack(HEAD, MAGIC, window, width, records, k, k * shard_slots) + body.tobytes()
+
+
+def shards(docs: DataFrame, tokenizer: str, key: int, path: str, window: int = 1024, end_id: int = 0, pad_id: int = 0, shard_slots: int = 4096, held: int = 32_000_000) -> tuple[int, DataFrame]:
     """Writes the shards below path. Returns the number of sequences and their pieces (slot, sequence_id, doc_id, start, length)."""
     spark = docs.sparkSession
     staged = common.stage(tokens.tokenise(docs, tokenizer, end_id), "tokens")
@@ -83,14 +115,25 @@ def shards(docs: DataFrame, tokenizer: str, key: int, path: str, window: int = 1
     n = -(-total // window)
     order, width = Permutation(max(n, 1), key), load(tokenizer).dtype.itemsize
 
-    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for f in frames:
-            at = packing.places(f, bases)
-            row, sequence, a, b = packing.pieces_of(at, f["n"].to_numpy(np.int64), window)
-            begin, end, held = (a - at[row]) * width, (b - at[row]) * width, [memoryview(x) for x in f["ids"]]
-            ids = [squeeze(held[r][i:j]) for r, i, j in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True)]
-            yield pd.DataFrame({"slot": order.slot(sequence), "offset": a % window, "sequence_id": sequence, "ids": ids})
+    def batched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, size = [], 0
+        for f in itertools.chain(frames, [None]):
+            if f is not None:
+                at = packing.places(f, bases)
+                row, sequence, a, b = packing.pieces_of(at, f["n"].to_numpy(np.int64), window)
+                begin, end, raw = (a - at[row]) * width, (b - at[row]) * width, [memoryview(x) for x in f["ids"]]
+                kept.append((order.slot(sequence), sequence, a % window, b - a, [raw[r][i:j] for r, i, j in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True)]))
+                size += int(end.sum() - begin.sum())
+            if kept and (f is None or size >= held):
+                slot, sequence, offset, length = (np.concatenate([k[c] for k in kept]) for c in range(4))
+                ids = [x for k in kept for x in k[4]]
+                by = np.argsort(slot // shard_slots, kind="stable")
+                groups = [g for g in np.split(by, np.flatnonzero(np.diff(slot[by] // shard_slots)) + 1) if len(g)]
+                yield pd.DataFrame({
+                    "shard": [slot[g[0]] // shard_slots for g in groups],
+                    "pieces": [batch(slot[g], sequence[g], offset[g], length[g], [ids[i] for i in g.tolist()]) for g in groups],
+                })
+                kept, size = [], 0
 
     def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -100,59 +143,71 @@ def shards(docs: DataFrame, tokenizer: str, key: int, path: str, window: int = 1
             yield pd.DataFrame({"slot": order.slot(sequence), "offset": a % window, "sequence_id": sequence, "doc_id": ids, "start": a - at[row], "length": b - a})
 
     def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_up = zstandard.ZstdDecompressor().decompress
-        pad, now, body, ids, sequence = np.array([pad_id], f"<u{width}").tobytes(), None, [], [], 0
-
-        def record() -> bytes:
-            raw = b"".join(ids)
-            crc = zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
-            return struct.pack(RECORD, sequence, len(raw) // width, crc) + raw + pad * (window - len(raw) // width)
-
-        def shard() -> pd.DataFrame:
-            k = now // shard_slots
-            return pd.DataFrame({"blob": [struct.pack(HEAD, MAGIC, window, width, len(body), k, k * shard_slots) + b"".join(body)]})
-
-        for f in frames:
-            for slot, seq, x in zip(f["slot"], f["sequence_id"], f["ids"], strict=True):
-                if now is not None and slot != now:
-                    body.append(record())
-                    ids.clear()
-                    if slot // shard_slots != now // shard_slots:
-                        yield shard()
-                        body.clear()
-                now, sequence = slot, seq
-                ids.append(open_up(x))
-        if now is not None:
-            body.append(record())
-            yield shard()
+        rows = itertools.chain.from_iterable(zip(f["shard"].tolist(), f["pieces"], strict=True) for f in frames)
+        for k, own in itertools.groupby(rows, key=lambda r: r[0]):
+            yield pd.DataFrame({"shard": [k], "blob": [shard_bytes(k, min(shard_slots, n - k * shard_slots), [x for _, x in own], window, width, shard_slots, pad_id)]})
 
     count = -(-n // shard_slots)
     parts = max(1, min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 4))))
-    by_range = F.floor(F.floor(F.col("slot") / shard_slots) * parts / max(count, 1)).cast("int")
-    ranged = staged.mapInPandas(placed, "slot long, offset long, sequence_id long, ids binary").repartitionById(parts, by_range)
-    common.write_blobs(ranged.sortWithinPartitions("slot", "offset").mapInPandas(written, "blob binary"), path, "\n")
+    by_range = F.floor(F.col("shard") * parts / max(count, 1)).cast("int")
+    ranged = staged.mapInPandas(batched, "shard long, pieces binary").repartitionById(parts, by_range)
+    common.write_blobs(ranged.sortWithinPartitions("shard").mapInPandas(written, "shard long, blob binary"), path, "\n", "shard")
     index = staged.select("part", "before", "doc_id", "n")  # the ids are not read again
     return n, index.mapInPandas(indexed, "slot long, offset long, sequence_id long, doc_id long, start long, length long")
 
 
-def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """slot, shard, byte_offset, sequence_id, n_ids, ids_crc32 (of what the file holds), sound, and the ids as four-byte values on demand."""
+def records(file: BinaryIO, first: int = 0) -> Iterator[tuple[int, int, int, int, bytes, bool]]:
+    """slot, byte offset, sequence, number of ids, ids (as in the file) and whether they are what their CRC says, of the records of a
+    seekable shard file from slot `first` on; what lies before is not read."""
+    head = file.read(struct.calcsize(HEAD))
+    magic, window, width, many, _, start = struct.unpack(HEAD, head)
+    if magic != MAGIC:
+        raise ValueError("not a shard")
+    stride, skip = struct.calcsize(RECORD) + window * width, min(max(0, first - start), many)
+    file.seek(len(head) + skip * stride)
+    for k in range(skip, many):
+        raw = file.read(stride)
+        if len(raw) < stride:
+            raise ValueError("a shard is cut off")
+        sequence, n, crc = struct.unpack_from(RECORD, raw)
+        ids = raw[struct.calcsize(RECORD) :][: n * width]
+        yield start + k, len(head) + k * stride, sequence, n, ids, zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()) == crc
+
+
+def _from(spark: SparkSession, path: str, first: int) -> DataFrame:
+    """The files (shard, content) that hold slot `first` or later ones; folders of earlier shards are left out by their name."""
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path)
+    head = files.where("shard = 0").select(F.substring("content", 1, struct.calcsize(HEAD)).alias("h")).first() if first else None
+    many = struct.unpack(HEAD, bytes(head["h"]))[3] if head else 1  # the first shard is full if there is another
+    return files.where(F.col("shard") >= first // many).select("shard", "content")
+
+
+def read(spark: SparkSession, path: str, with_ids: bool = False, first: int = 0) -> DataFrame:
+    """slot, shard, byte_offset, sequence_id, n_ids, ids_crc32 (of what the file holds), sound, and the ids as four-byte values on
+    demand, of slot `first` and all later ones; each task's rows come in the order of slots."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for blob in f["content"]:
-                magic, window, width, records, shard, first = struct.unpack_from(HEAD, blob)
-                stride = struct.calcsize(RECORD) + window * width
-                if magic != MAGIC or len(blob) != struct.calcsize(HEAD) + records * stride + 1:
+            for shard, blob in zip(f["shard"].tolist(), f["content"], strict=True):
+                _, window, width, many, _, _ = struct.unpack_from(HEAD, blob)
+                if len(blob) != struct.calcsize(HEAD) + many * (struct.calcsize(RECORD) + window * width) + 1:
                     raise ValueError("not a whole shard")
-                heads = [struct.unpack_from(RECORD, blob, struct.calcsize(HEAD) + k * stride) for k in range(records)]
-                ids = [np.frombuffer(blob, f"<u{width}", h[1], struct.calcsize(HEAD) + k * stride + struct.calcsize(RECORD)).astype("<u4").tobytes() for k, h in enumerate(heads)]
-                crc = [zlib.crc32(x) for x in ids]
+                rows = list(records(io.BytesIO(blob), first))
+                ids = [np.frombuffer(r[4], f"<u{width}").astype("<u4").tobytes() for r in rows]
                 yield pd.DataFrame({
-                    "slot": first + np.arange(records), "shard": shard, "byte_offset": struct.calcsize(HEAD) + np.arange(records) * stride,
-                    "sequence_id": [h[0] for h in heads], "n_ids": [h[1] for h in heads], "ids_crc32": crc, "sound": [c == h[2] for c, h in zip(crc, heads, strict=True)],
-                    "ids": ids if with_ids else None,
+                    "slot": [r[0] for r in rows], "shard": shard, "byte_offset": [r[1] for r in rows], "sequence_id": [r[2] for r in rows], "n_ids": [r[3] for r in rows],
+                    "ids_crc32": [zlib.crc32(x) for x in ids], "sound": [r[5] for r in rows], "ids": ids if with_ids else None,
                 })
 
-    out = common.read_blobs(spark, path).mapInPandas(run, "slot long, shard long, byte_offset long, sequence_id long, n_ids long, ids_crc32 long, sound boolean, ids binary")
+    out = _from(spark, path, first).mapInPandas(run, "slot long, shard long, byte_offset long, sequence_id long, n_ids long, ids_crc32 long, sound boolean, ids binary")
     return out if with_ids else out.drop("ids")
+
+
+def follow(spark: SparkSession, path: str, first: int = 0) -> Iterator[tuple[int, bytes]]:
+    """slot and ids (as in the files) from slot `first` on, in order, one shard in memory at a time."""
+    files = _from(spark, path, first)
+    for k in sorted(r["shard"] for r in files.select("shard").distinct().toLocalIterator()):
+        for slot, _, _, _, ids, sound in records(io.BytesIO(files.where(F.col("shard") == k).first()["content"]), first):
+            if not sound:
+                raise ValueError(f"slot {slot} isn't what its CRC says")
+            yield slot, ids

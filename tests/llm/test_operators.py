@@ -89,6 +89,13 @@ def test_packing_and_training_order(spark, docs, truth):
         assert len(laid.setdefault(r["slot"], [])) == r["offset"]
         laid[r["slot"]] += ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
     assert {r["slot"]: np.frombuffer(r["ids"], "<u4").tolist() for r in held} == laid
+    want = sorted((r["slot"], bytes(r["ids"])) for r in held)
+    for stop in (0, 1, 9, 10, 15, 20, n - 1, n, n + 50):  # a reader that stopped inside a shard, at its ends, and at the end
+        rest = [(k, np.frombuffer(x, "<u2").astype("<u4").tobytes()) for k, x in training_order.follow(spark, path, stop)] if stop in (15, n - 1) else None
+        assert rest in (None, want[stop:])
+        assert sorted((r["slot"], bytes(r["ids"])) for r in training_order.read(spark, path, True, stop).collect()) == want[stop:]
+    later = training_order._from(spark, path, 25)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(shard" in later and {r["shard"] for r in training_order._from(spark, path, 25).collect()} == set(range(2, -(-n // 10)))
     assert training_order.shards(docs.limit(0), PATH, 7, common.new_path(spark, "t"))[0] == 0
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
