@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one, but only in local mode: on a cluster other
+    machines would not see it."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarry-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,6 +53,19 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
+def only(docs: DataFrame, test: Callable[[list[str | None]], np.ndarray], column: str = "text") -> DataFrame:
+    """The rows whose text passes the test, which gets the texts of a batch; all columns go through as they are."""
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1000):
+                part = batch.slice(s, 1000)
+                yield part.filter(pa.array(test(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def partition_id() -> int:
     c = TaskContext.get()
     return c.partitionId() if c else 0

@@ -9,7 +9,7 @@ Training takes a bounded sample: at most `sample` rows in expectation, the same
 text and doc_id. Predictions read whole texts and nothing but texts.
 
 Defined cases: null text or one without a letter is `und` with score 0; repeated rows get equal results; if nothing can be learned
-from, every row is `und`; an empty table gives no rows; other columns are ignored.
+from, every row is `und`; a very long text is read in pieces; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import common
+
 #: Families of languages by their codes. A code that isn't here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -54,9 +56,16 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text)) if text else False
 
 
-def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of all texts one after another, two for each byte, and where each text starts."""
-    raw = [b" " + t.lower().encode("utf-8", "replace").translate(_MAP) + b"  " for t in texts]
+#: Bytes of text whose features are held at once.
+HELD = 1 << 19
+
+
+def coded(text: str) -> bytes:
+    return b" " + text.lower().encode("utf-8", "replace").translate(_MAP) + b"  "
+
+
+def hashed(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all coded texts one after another, two for each byte but the last two, and where each text starts."""
     starts = np.cumsum([0] + [2 * (len(r) - 2) for r in raw])
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     pair = flat[:-2] << np.uint32(8) | flat[1:-1]
@@ -68,6 +77,12 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([pair[inside], triple[inside]], 1).reshape(-1), starts
 
 
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """A coded text cut so that its pieces have the features of the whole, each once."""
+    for s in range(0, len(raw) - 2, HELD):
+        yield raw[s : s + HELD + 2]
+
+
 @dataclass
 class Machines:
     """One-versus-one linear machines between classes; weights has a column for each pair."""
@@ -138,10 +153,20 @@ class Model:
         self.table = np.ascontiguousarray(np.hstack([m.weights for _, m in self.steps]) * SCALE, np.float32)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Of texts that have features."""
-        f, starts = hashed(texts)
-        sums = np.add.reduceat(self.table[f], starts[:-1], axis=0).astype(float) if self.table.shape[1] else np.zeros((len(texts), 0))
-        sums /= np.diff(starts)[:, None]
+        """Of texts that have features. A long text is added up piece by piece, so its features never are in memory at once."""
+        raw, width = [coded(t) for t in texts], self.table.shape[1]
+        sums, part = np.zeros((len(raw), width)), []
+        for k in [*range(len(raw)), None] if width else []:
+            if part and (k is None or sum(len(raw[j]) for j in part) + len(raw[k]) > HELD):
+                f, starts = hashed([raw[j] for j in part])
+                sums[part] = np.add.reduceat(self.table[f], starts[:-1], axis=0)
+                part = []
+            if k is not None and len(raw[k]) > HELD:
+                for x in pieces(raw[k]):
+                    sums[k] += self.table[hashed([x])[0]].sum(0, dtype=float)
+            elif k is not None:
+                part.append(k)
+        sums /= np.array([2 * (len(r) - 2) for r in raw])[:, None]
         at, margins = 0, {}
         for family, m in self.steps:
             margins[family] = sums[:, at : at + len(m.pairs)] + m.bias
@@ -172,9 +197,9 @@ def fit(docs: DataFrame, train: Column, sample: int = 3000) -> Model | None:
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                f, _ = hashed([text])
-                at, n = np.unique(f, return_counts=True)
-                rows.append((at.astype("<u2").tobytes(), (n / len(f)).astype("<f4").tobytes(), zlib.crc32(text.encode("utf-8", "replace"))))
+                n = sum(np.bincount(hashed([x])[0], minlength=1 << BITS) for x in pieces(coded(text)))
+                at = np.flatnonzero(n)
+                rows.append((at.astype("<u2").tobytes(), (n[at] / n.sum()).astype("<f4").tobytes(), zlib.crc32(text.encode("utf-8", "replace"))))
             out = pd.DataFrame(rows, columns=["at", "share", "crc"])
             yield pd.DataFrame({"lang": frame["lang"].array, "at": out["at"], "share": out["share"], "crc": out["crc"]})
 
@@ -186,6 +211,22 @@ def fit(docs: DataFrame, train: Column, sample: int = 3000) -> Model | None:
     return Model(x, list(drawn["lang"])) if len(drawn) else None
 
 
+def judged(model: Model | None, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """lang_pred and score of each text."""
+    texts = [x if isinstance(x, str) else "" for x in texts]
+    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    at = [k for k, x in enumerate(texts) if model is not None and has_letter(x)]
+    part, size = [], 0
+    for k in [*at, None]:
+        if part and (k is None or size > 300_000):
+            lang[part], score[part] = model.predict([texts[j] for j in part])
+            part, size = [], 0
+        if k is not None:
+            part.append(k)
+            size += len(texts[k])
+    return lang, score
+
+
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -194,24 +235,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of 2^13 rows, whatever the corpus
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
         for frame in frames:
-            texts = [x if isinstance(x, str) else "" for x in frame["text"]]
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            at = [k for k, x in enumerate(texts) if model is not None and has_letter(x)]
-            part, size = [], 0
-            for k in [*at, None]:
-                if part and (k is None or size > 300_000):
-                    lang[part], score[part] = model.predict([texts[j] for j in part])
-                    part, size = [], 0
-                if k is not None:
-                    part.append(k)
-                    size += len(texts[k])
+            lang, score = judged(sent.value, list(frame["text"]))
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").array, "held_out": frame["held_out"].array, "lang_pred": lang, "score": score})
 
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCHEMA)
 
 
+def known(docs: DataFrame, sample: int = 3000) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language; `und` goes. Every row is judged by its own text."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out(F.col("doc_id")), sample))
+    return common.only(docs, lambda texts: judged(sent.value, texts)[0] != "und")
+
+
 def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:
     """Learns from the rows that aren't held out and predicts every row."""
     return predict(docs, fit(docs, ~held_out(F.col("doc_id")), sample))

@@ -3,8 +3,9 @@
 The lexicon is learned: words and beginnings of words (stems) that a bounded sample of labelled rows shows in toxic documents far
 more often than chance allows. Its entries form a trie. A Levenshtein automaton for each new word of a text, held as bit vectors of
 its states, walks the trie, so only branches that can still match within the allowed number of edits are visited; an entry of fewer
-than five letters allows none, one of fewer than ten one, a longer one two; stems take any ending but no edit. Words that were
-looked up are kept, within a bound.
+than five letters allows none, one of fewer than ten one, a longer one two; stems take any ending but no edit. Words of any length are
+learned and looked up; those of up to LONG letters that were looked up are kept, within a bound. In scripts without spaces a run of
+letters is one word, of which the beginning is compared with stems.
 
 Each find gets a context from a window of words on both sides: quotation marks around it, a verb of reporting or a word about words
 before it, a negation, or the reader addressed. A logistic regression over these features, fitted on the same sample, gives the score.
@@ -12,7 +13,7 @@ before it, a negation, or the reader addressed. A logistic regression over these
 Learning reads labels.toxic only of rows outside the held-out fold; at most `sample` rows in expectation, by a hash of the id.
 
 Defined cases: null text counts as empty; a text without finds gets the score of no finds; a label that is null is not used, of
-repeated labels all are; with no label of either kind every score is 0; a null doc_id is not held out and matches no label; repeated
+repeated labels all are; of near copies with the same label that with the least hash counts, so that learning repeats exactly; with no label of either kind every score is 0; a null doc_id is not held out and matches no label; repeated
 rows get equal results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import common
 from quarry.llm.langid import held_out
 from quarry.llm.line_dedup import once
 
@@ -41,6 +44,7 @@ WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
 FEATURES = 8
 CHILDREN, ENTRY, STEM = 0, 1, 2  # what a node of the trie holds
+LONG = 64
 
 
 def edits_allowed(n: int) -> int:
@@ -160,9 +164,10 @@ class Scorer:
         if len(known) + len(new) > self.keep:
             known.clear()
             new = set(words)
-        for w in new:
-            known[w] = self.trie.find(w) if 2 < len(w) < 40 else None
-        return [(k, f) for k, f in enumerate(map(known.__getitem__, words)) if f is not None]
+        far = {w: self.trie.find(w) for w in new if len(w) > LONG}
+        known.update((w, self.trie.find(w)) for w in new if w not in far)
+        found = map(known.__getitem__, words) if not far else (far[w] if w in far else known[w] for w in words)
+        return [(k, f) for k, f in enumerate(found) if f is not None]
 
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(FEATURES)
@@ -211,78 +216,71 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 6
     return w.tolist()
 
 
-def tail(n: int, k: int, p: float) -> float:
-    """log of a bound on the chance of k or more hits in n draws of chance p."""
-    if k <= n * p:
-        return 0.0
-    if k == n:
-        return n * math.log(p)
-    q = k / n
-    return -n * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p)))
-
-
 def terms(text: str) -> tuple[set[str], set[str]]:
-    words = {w for w in WORD.findall(text.lower()) if 2 < len(w) < 40}
+    words = set(WORD.findall(text.lower()))
     return words, {w[:n] for w in words for n in STEMS if len(w) > n}
 
 
 def condensed(words: dict[str, float], stems: dict[str, float], seen: list[str]) -> tuple[dict[str, float], dict[str, float]]:
     """A stem of three words seen, or more, stands for them and for longer stems; other stems tell nothing that their words don't."""
     kept: dict[str, float] = {}
+    seen = sorted(seen)
+    covered = lambda w: any(w[:n] in kept for n in STEMS)
     for stem in sorted(stems, key=lambda t: (len(t), t)):
-        if not any(stem.startswith(k) for k in kept) and sum(w.startswith(stem) for w in seen) >= 3:
+        if not covered(stem) and bisect_left(seen, stem + "\U0010ffff") - bisect_left(seen, stem) >= 3:
             kept[stem] = stems[stem]
-    return {w: x for w, x in words.items() if not any(w.startswith(k) for k in kept)}, kept
+    return {w: x for w, x in words.items() if not covered(w)}, kept
+
+
+def log_tail(n: Column, k: Column, p: float) -> Column:
+    """log of a bound on the chance of k or more hits in n draws of chance p."""
+    q = k / n
+    part = q * F.log(q / p) + F.when(k < n, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when(k <= n * p, 0.0).otherwise(-n * part)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 12_000, most: int = 3000, chance: float = 1e-7) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 12_000, chance: float = 1e-7, least_odds: float = 30.0) -> Scorer:
     """Lexicon and weights from labelled rows for whose doc_id train holds."""
     spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & train).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & train).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     ids = known.where(draw < sample / max(n, 1)).toPandas()
     if ids["toxic"].nunique() < 2:
         return Scorer({}, {}, None)
     chosen = F.broadcast(spark.createDataFrame(ids.astype({"doc_id": "int64"}), "doc_id long, toxic int"))  # `sample` rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
     # near copies mostly share the least hash of their word triples; one of them counts, or a copied text would fill the lexicon
-    split = once(rows, w=F.split(F.lower(F.coalesce("text", F.lit(""))), r"\W+"))
+    split = once(rows, w=F.split(F.lower("text"), r"\W+"))
     triples = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(3)]))
     least = F.when(F.size("w") < 3, F.xxhash64("w")).otherwise(F.array_min(triples))
-    apart = split.withColumn("least", least).dropDuplicates(["least", "toxic"]).drop("least", "w")
+    apart = split.withColumn("least", least).groupBy("least", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text", "doc_id"), "text")).alias("text"))
+    apart = common.stage(apart.select("text", "toxic"), "labelled")  # read twice; `sample` rows
+    sizes = {r["toxic"]: r["count"] for r in apart.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return Scorer({}, {}, None)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of: dict[tuple[bool, int], Counter] = {(s, y): Counter() for s in (False, True) for y in (0, 1)}
-        docs = Counter()
         for frame in frames:
             for text, y in zip(frame["text"], frame["toxic"], strict=True):
-                docs[y] += 1
-                for stem, found in enumerate(terms(text if isinstance(text, str) else "")):
+                for stem, found in enumerate(terms(text)):
                     of[bool(stem), y].update(found)
-        out = [(t, s, y, c) for (s, y), found in of.items() for t, c in found.items()] + [("", False, y, c) for y, c in docs.items()]
+        out = [(t, s, y, c) for (s, y), found in of.items() for t, c in found.items()]
         yield pd.DataFrame(out, columns=["term", "stem", "toxic", "n"])
 
     counted = apart.mapInPandas(count, "term string, stem boolean, toxic int, n long").groupBy("term", "stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    counted = counted.where("term = '' or bad >= 3 and bad >= good").orderBy(F.desc("bad"), "term", "stem").limit(50 * most).toPandas()
-    whole = counted[counted["term"] == ""]
-    bad_docs, good_docs = int(whole["bad"].sum()), int(whole["good"].sum())
-    if not bad_docs or not good_docs:
-        return Scorer({}, {}, None)
-    p = bad_docs / (bad_docs + good_docs)
-    words, stems, seen = {}, {}, []
-    for r in counted[counted["term"] != ""].itertuples():
-        odds = (r.bad + 0.5) / (r.good + 0.5) * good_docs / bad_docs
-        if odds > 30 and not r.stem:
-            seen.append(r.term)
-        if odds > 30 and tail(int(r.bad + r.good), int(r.bad), p) < math.log(chance):
-            (stems if r.stem else words)[r.term] = min(5.0, math.log(odds))
-    words, stems = condensed(words, stems, seen)
-    scorer = Scorer(dict(list(words.items())[:most]), dict(list(stems.items())[:most]), None)
+    odds = (F.col("bad") + 0.5) / (F.col("good") + 0.5) * (sizes[0] / sizes[1])
+    sure = log_tail(F.col("bad") + F.col("good"), F.col("bad"), sizes[1] / (sizes[0] + sizes[1])) < math.log(chance)
+    # what is so much more frequent in toxic rows of the sample: a small part of the sample's words
+    found = counted.where("bad >= 3").withColumns({"odds": odds, "sure": sure}).where((F.col("odds") > least_odds) & (F.col("sure") | ~F.col("stem"))).toPandas().sort_values(["term", "stem"])
+    weight = found["odds"].map(lambda x: min(5.0, math.log(x)))
+    words, stems = ({t: x for t, x, s, y in zip(found["term"], weight, found["stem"], found["sure"], strict=True) if y and s == kind} for kind in (False, True))
+    scorer = Scorer(*condensed(words, stems, list(found["term"][~found["stem"].astype(bool)])), None)
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"x": [scorer.features(t if isinstance(t, str) else "") for t in frame["text"]], "toxic": frame["toxic"].array})
+            yield pd.DataFrame({"x": [scorer.features(t) for t in frame["text"]], "toxic": frame["toxic"].array})
 
     measures = apart.mapInPandas(measured, "x array<double>, toxic int").toPandas()
     x, y = np.stack(measures["x"].to_numpy()), measures["toxic"].to_numpy().astype(float)
@@ -291,17 +289,20 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 12_00
     return scorer
 
 
+def scores(scorer: Scorer, texts: list) -> np.ndarray:
+    x = [scorer.features(t if isinstance(t, str) else "") for t in texts]
+    return scorer.score(np.stack(x)) if x else np.zeros(0)
+
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # at most `most` entries
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # words that a bounded sample shows in toxic rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = sent.value
         for frame in frames:
-            x = [scorer.features(t if isinstance(t, str) else "") for t in frame["text"]]
-            s = scorer.score(np.stack(x)) if x else np.zeros(0)
+            s = scores(sent.value, list(frame["text"]))
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").array, "held_out": frame["held_out"].array, "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     held = held_out(F.col("doc_id"), 3, 1)
@@ -311,3 +312,9 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
     """Learns from the labelled rows that aren't held out and scores every row."""
     return score(docs, learn(docs, labels, ~held_out(F.col("doc_id"), 3, 1), sample))
+
+
+def clean(docs: DataFrame, labels: DataFrame, sample: int = 12_000, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not predicted as toxic. Every row is judged by its own text."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, ~held_out(F.col("doc_id"), 3, 1), sample))
+    return common.only(docs, lambda texts: scores(sent.value, texts) < threshold)

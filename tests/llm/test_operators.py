@@ -6,6 +6,7 @@ import io
 import itertools
 import random
 import re
+import tracemalloc
 import wave
 import zlib
 
@@ -384,3 +385,49 @@ def test_bloom_filter_keeps_every_member(spark):
     ids = [0, 1, -5, 2**62, -(2**63), *range(1000, 3000)]
     table = near_duplicates.membership(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
     assert near_duplicates.maybe_in(table, np.array(ids)).all() and near_duplicates.maybe_in(table, np.arange(10**6, 2 * 10**6)).mean() < 0.001
+
+
+def test_language_of_a_very_long_text():
+    """The features of a long text are those of the whole, and its prediction needs a small multiple of its size."""
+    raw = langid.coded("Der schnelle Fuchs läuft. " * 50_000)
+    cut = [langid.hashed([x])[0] for x in langid.pieces(raw)]
+    assert len(cut) > 2 and (np.concatenate(cut) == langid.hashed([raw])[0]).all()
+    x = np.stack([np.bincount(langid.hashed([langid.coded(t)])[0], minlength=1 << langid.BITS) for t in ("der und die ein", "the and of in", "le la et un", "el la y un")]).astype(np.float32)
+    model = langid.Model(x / x.sum(1, keepdims=True) * langid.SCALE, ["de", "en", "fr", "es"])
+    short, score = model.predict(["der und die ein " * 100, "the and of in"])
+    tracemalloc.start()
+    long, score_of_long = model.predict(["der und die ein " * 2_000_000])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert long == short[:1] == ["de"] and abs(score[0] - score_of_long[0]) < 0.01 and most < 32_000_000 * 5
+
+
+def test_rows_that_pass_keep_their_columns(spark):
+    """Each row is judged by its own text, whatever ids rows share; types and values of all columns are kept."""
+    r = random.Random(3)
+    words = {"en": "the of and thing with that this".split(), "de": "der und schön nicht keit über ein".split()}
+    data = [(k, " ".join(r.choice(words[c]) for _ in range(30)), c, 2**53 + k, None) for k, c in enumerate(["en", "de"] * 40)]
+    given = [*data, (1, "123", None, None, [1]), (1, None, "en", 7, []), (None, "the of and", "x", 2**62 + 1, [2])]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string, lang_pred long, x array<int>").repartition(3)
+    kept = langid.known(df)
+    assert kept.schema == df.schema
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(g) for g in given if g[1] and g[1] != "123")
+    text = lambda bad: " ".join(["scumbag you"] * bad + [f"w{r.randrange(300)}" for _ in range(30)])
+    given = [(k, text(2 * (k % 4 == 0)), 2**53 + k) for k in range(400)] + [(5, text(2), 1), (None, text(2), 2), (None, text(0), 3), (8, None, 4)]
+    df = spark.createDataFrame(given, "doc_id long, text string, score long").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400) if k != 5], "doc_id long, toxic int")
+    kept = toxicity.clean(df, labels)
+    assert kept.schema == df.schema and sorted(map(str, map(tuple, kept.collect()))) == sorted(str(g) for g in given if "scumbag" not in (g[1] or ""))
+    assert langid.known(df.limit(0).withColumn("lang", F.lit("en"))).count() == 0 and toxicity.clean(df.limit(0), labels).count() == 0
+
+
+def test_toxic_words_of_any_length_and_learning_that_repeats(spark):
+    s = toxicity.Scorer({"scumbag": 2.0, "xq": 1.0}, {"scum": 1.5}, None)
+    assert [f for f in (s.finds([w]) for w in ("scumbag", "xq", "scumbag" + "a" * 100, "a" * 100 + "scum", "xx")) if f] == [[(0, (2.0, 0, False))], [(0, (1.0, 0, False))], [(0, (1.5, 0, True))]]
+    r = random.Random(11)
+    texts = [" ".join([f"w{r.randrange(60)}" for _ in range(25)] + ["scumbag"] * (k % 3 == 0)) for k in range(300)]
+    texts += [" ".join([t, "and more"]) for t in texts[:150]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("scumbag" in t)) for k, t in enumerate(texts)] * 2, "doc_id long, toxic int")
+    learnt = [toxicity.learn(d, labels, F.lit(True)).__getstate__() for d in (df.repartition(5), df.orderBy(F.desc("doc_id")).coalesce(1))]
+    assert learnt[0] == learnt[1] and {"scumbag", "scum"} & {*learnt[0][0], *learnt[0][1]}
