@@ -1,7 +1,15 @@
 """From raw documents to packed sequences, in stages of the operators in quarry.llm.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame that run() writes as
-Parquet and reads again. All but the last return the columns of documents."""
+Parquet and reads again. All but the last return the columns of documents, with the values that they had (line dedup changes text and
+n_chars).
+
+Defined cases. Null or empty text, or one without a letter, has no language and goes in the first stage. Every row is judged by its
+own text, so rows that share a doc_id, and rows without one, stay or go each for itself; labels are found by doc_id. Rows with a null
+doc_id take no part in line dedup and near copies and stay. Of repeated rows (same id and text) one stays. A document of which all
+lines go stays with an empty text, and of all empty ones one stays. An empty table gives no pieces. Columns beside those of
+documents are carried along.
+"""
 
 from __future__ import annotations
 
@@ -11,23 +19,15 @@ from pyspark.sql import functions as F
 from quarry.llm import common, langid, line_dedup, near_duplicates, packing, toxicity
 from quarry.llm.queries import TOKENIZER
 
-#: A text whose language gets less than this score is in none of the languages known.
-LEAST_SCORE = 0.3
-
-
-def _without(docs: DataFrame, told: DataFrame, rejected) -> DataFrame:
-    """docs without the rows of rejected ids. Rows with a null id stay."""
-    return docs.join(told.where(rejected).select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a language that is known go."""
-    return _without(docs, langid.identify(docs), (F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE))
+    """Documents without a language (und: without a letter) go. The machines know no class for other languages, so texts in these stay."""
+    return langid.known(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted as toxic go."""
-    return _without(docs, toxicity.toxicity(docs, common.table(spark, sf_dir, "labels")), F.col("predicted") == 1)
+    return toxicity.clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
