@@ -7,12 +7,12 @@ ISO form, a type (the description becomes warcinfo; HTTP responses become respon
 digests of block and payload. Files are runs of gzip members, one for each record, and end with a zero byte, which gzip takes as
 padding; they are written by Spark, so any store and any lost executor will do, and their size is bounded whatever the input.
 
-Identifiers are version 8 UUIDs: 64 bits hold the page's id, the rest the payload's digest, so the same page gives the same
-identifier in any run, and an identifier names its page.
+Identifiers are version 8 UUIDs: 64 bits hold the page's id, the rest a hash of the payload's digest and of the record's place (its
+file's own name and its number there), so an identifier names its page, and repeated rows have identifiers of their own.
 
 Defined cases: null html is an empty payload; a null url is written as unknown:; white space in a url is percent-encoded; a null
-page id is left out and its identifier is a version 5 UUID; repeated rows give repeated records, and of equal payloads all rows with
-the largest page id are responses (if all ids are null, every row); an empty table gives no file and no row; other columns are
+page id is left out and its identifier is a version 5 UUID; repeated rows give records each, and of equal payloads all rows with
+the largest page id are responses, to one of which the others refer (if all ids are null, every row); an empty table gives no file and no row; other columns are
 ignored.
 """
 
@@ -69,10 +69,11 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_uuid(page_id: int | None, digest: str) -> str:
+def record_uuid(page_id: int | None, digest: str, place: str) -> str:
+    named = f"{digest} {place}"
     if page_id is None:
-        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, digest)}>"
-    i, d = page_id & (2**64 - 1), int.from_bytes(base64.b32decode(digest)[:8]) >> 6
+        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, named)}>"
+    i, d = page_id & (2**64 - 1), int.from_bytes(hashlib.sha1(named.encode()).digest()[:8]) >> 6
     return f"<urn:uuid:{uuid.UUID(int=(i >> 16) << 80 | 8 << 76 | (i >> 4 & 0xFFF) << 64 | 2 << 62 | (i & 15) << 58 | d)}>"
 
 
@@ -174,7 +175,7 @@ def warc_record(kind: str, record_id: str, date: str, block: bytes, **more: str)
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in own.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-CONVERTED = "page_id long, kind string, url string, date string, payload_bytes long, payload_digest string, head binary, member binary"
+CONVERTED = "page_id long, kind string, url string, date string, payload_bytes long, payload_digest string, place string, head binary, member binary"
 
 
 def convert(arc: DataFrame, with_records: bool = True) -> DataFrame:
@@ -183,8 +184,8 @@ def convert(arc: DataFrame, with_records: bool = True) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for blob in f["content"]:
-                rows, size = [], 0
-                for head, body in arc_records(blob):
+                rows, size, file = [], 0, hashlib.sha1(blob).hexdigest()[:16]
+                for k, (head, body) in enumerate(arc_records(blob)):
                     if head["URL"].startswith("filedesc:"):
                         kind, http, payload, own, media = "warcinfo", b"", body, {}, "text/plain"
                     elif body.startswith(b"HTTP/") and head["URL"].split(":")[0].lower() not in ("dns", "ftp"):
@@ -193,11 +194,11 @@ def convert(arc: DataFrame, with_records: bool = True) -> DataFrame:
                     else:
                         kind, http, payload, own, media = "resource", b"", body, {}, head["Content-type"]
                     page_id, digest = int(own["x-page-id"]) if "x-page-id" in own else None, sha1(payload)
-                    member = None
+                    member, place = None, f"{file}:{k}"
                     if with_records:
-                        member = packed(warc_record(kind, record_uuid(page_id, digest), head["Archive-date"], body, WARC_Target_URI=head["URL"], WARC_IP_Address=head["IP-address"], WARC_Payload_Digest=f"sha1:{digest}", Content_Type=media))
+                        member = packed(warc_record(kind, record_uuid(page_id, digest, place), head["Archive-date"], body, WARC_Target_URI=head["URL"], WARC_IP_Address=head["IP-address"], WARC_Payload_Digest=f"sha1:{digest}", Content_Type=media))
                         size += len(member)
-                    rows.append((page_id, kind, head["URL"], head["Archive-date"], len(payload), digest, http, member))
+                    rows.append((page_id, kind, head["URL"], head["Archive-date"], len(payload), digest, place, http, member))
                     if len(rows) >= 2000 or size >= 8_000_000:
                         yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
                         rows, size = [], 0
@@ -206,29 +207,29 @@ def convert(arc: DataFrame, with_records: bool = True) -> DataFrame:
 
     names = [x.split(" ")[0] for x in CONVERTED.split(", ")]
     out = arc.mapInPandas(run, CONVERTED)
-    return out if with_records else out.select("page_id", "kind", "payload_bytes", "payload_digest")
+    return out if with_records else out.select("page_id", "kind", "payload_bytes", "payload_digest", "place")
 
 
 def write_warc(arc: DataFrame, path: str, least: int = 0, most: int = 8_000_000, salts: int = 16) -> None:
     """Converts ARC files to WARC files. Of responses with equal payloads of at least `least` bytes, that of the largest page stays;
     the others become revisits of it. Only digests meet in groups; a frequent payload's records are dealt out by salts."""
     light = convert(arc, False).where((F.col("kind") == "response") & (F.col("payload_bytes") >= least))
-    groups = light.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    groups = groups.select("payload_digest", "payload_bytes", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")
+    groups = light.groupBy("payload_digest", "payload_bytes").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place"))).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1 and most is not null")
+    groups = groups.select("payload_digest", "payload_bytes", F.col("most.page_id").alias("first"), F.col("most.place").alias("first_place"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("place"), F.lit(salts)).cast("int")
     full = convert(arc).where("kind <> 'warcinfo'").withColumn("salt", salt).join(groups, ["payload_digest", "payload_bytes", "salt"], "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def head(k: int) -> bytes:
             about = b"software: quarry\r\nformat: WARC File Format 1.1\r\n"
-            return packed(warc_record("warcinfo", record_uuid(None, sha1(f"{common.partition_id()}-{k}".encode())), "20240101000000", about, Content_Type="application/warc-fields"))
+            return packed(warc_record("warcinfo", record_uuid(None, sha1(f"{common.partition_id()}-{k}".encode()), "warcinfo"), "20240101000000", about, Content_Type="application/warc-fields"))
 
         def made(r, k: int) -> bytes:
             page_id = None if r.page_id is pd.NA else int(r.page_id)
             if r.kind != "response" or r.first is pd.NA or page_id == int(r.first):
                 return r.member
-            named = {"WARC_Target_URI": r.url, "WARC_Payload_Digest": f"sha1:{r.payload_digest}", "WARC_Profile": REVISIT, "WARC_Refers_To": record_uuid(int(r.first), r.payload_digest)}
-            return packed(warc_record("revisit", record_uuid(page_id, r.payload_digest), r.date, r.head, Content_Type="application/http; msgtype=response", **named))
+            named = {"WARC_Target_URI": r.url, "WARC_Payload_Digest": f"sha1:{r.payload_digest}", "WARC_Profile": REVISIT, "WARC_Refers_To": record_uuid(int(r.first), r.payload_digest, r.first_place)}
+            return packed(warc_record("revisit", record_uuid(page_id, r.payload_digest, r.place), r.date, r.head, Content_Type="application/http; msgtype=response", **named))
 
         rows = (r for f in frames for r in f.astype({"page_id": "Int64", "first": "Int64"}).itertuples())
         yield from _blobs(rows, head, made, most)

@@ -128,13 +128,14 @@ def test_topk(spark):
         if i % 10 == 0 or i > 100:
             found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=False)))), j) for j, w in good if j != i)[:5]
             want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(found)}
-    got = topk.search(df, (F.col("vec_id") % 10 == 0) | (F.col("vec_id") > 100), tile=3, shard=7, block=4)
-    assert {tuple(x) for x in got.collect()} == want
+    for sizes in ({"tile": 3, "part": 2, "shard": 3, "block": 2}, {"tile": 5, "shard": 7, "block": 40}, {}):  # trees of two levels, one and none
+        got = topk.search(df, (F.col("vec_id") % 10 == 0) | (F.col("vec_id") > 100), **sizes)
+        assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
 def test_archives(spark):
-    pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "x\r\n\r\n" * 50000), (-6, "http://f", "<p>é</p>"), (2, None, "<p>é</p>"), (None, "http://g", "only")]
+    pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "x\r\n\r\n" * 50000), (-6, "http://f", "<p>é</p>"), (2, None, "<p>é</p>"), (None, "http://g", "only"), (None, "http://h", "only"), (None, "http://h", "only"), (2, "http://i", "<p>é</p>")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, date string").repartition(2)
     arc, warc = common.new_path(spark, "arc"), common.new_path(spark, "warc")
     archive.write_arc(df, arc, most=200)
@@ -149,8 +150,11 @@ def test_archives(spark):
         kind = "response" if first == i or first is None else "revisit"
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), kind, first if kind == "revisit" else None))
     assert got == sorted(want, key=str)
+    heads = [h for r in common.read_blobs(spark, warc).collect() for h, _ in archive.warc_records(bytes(r["content"]))]
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == len(heads) and all(ids[h["warc-refers-to"]]["warc-type"] == "response" and ids[h["warc-refers-to"]]["warc-payload-digest"] == h["warc-payload-digest"] for h in heads if h["warc-type"] == "revisit")
     for page_id in (0, 1, -1, 2**63 - 1, -(2**63)):
-        assert archive.page_of(archive.record_uuid(page_id, "A" * 32)) == page_id
+        assert archive.page_of(archive.record_uuid(page_id, "A" * 32, "f:1")) == page_id
     arc, warc = common.new_path(spark, "arc"), common.new_path(spark, "warc")
     archive.write_arc(df.limit(0), arc)
     archive.write_warc(common.read_blobs(spark, arc), warc)
