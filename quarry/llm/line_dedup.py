@@ -49,7 +49,9 @@ def tokens_of(words: Column, size: Column, n: int) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), pos, line and lid (its hash) of every line that has words."""
-    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # hashed before lines are made, or a text would be hashed again for each of its lines
+    named = once(named, th=F.xxhash64("text"), at=F.split("text", "\n")).select("doc_id", "th", F.posexplode("at").alias("pos", "line"))
     return named.where(F.trim("line", F.lit(BLANKS)) != "").withColumn("lid", F.xxhash64("line"))
 
 
@@ -101,7 +103,7 @@ def matches(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[DataFr
     # token sets of the lines that share a prefix token with another
     wanted = posted.select("lid", "first").distinct().select("first.*").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("wanted"))
     some = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").where(F.col("th") == F.xxhash64("text"))
-    some = some.select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "wanted").where(F.array_contains("wanted", F.col("pos")))
+    some = once(some, at=F.split("text", "\n")).select(F.explode(F.transform("wanted", lambda k: F.get("at", k))).alias("line"))
     some = some.select("line", F.xxhash64("line").alias("lid"))
     sets = stage(_tokened(some, n).dropDuplicates(["lid"]), "sets")
 
@@ -131,8 +133,10 @@ def dedup(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """The documents without the lines that match an earlier one. A text of which every line goes is empty."""
     lost = removed(docs, threshold, n).select(F.col("doc_id").alias("_lost_id"), F.col("th").alias("_lost_th"), "gone").withColumnRenamed("gone", "_lost")
     whole = docs.join(lost, (docs["doc_id"].cast("long") == F.col("_lost_id")) & (F.xxhash64(docs["text"]) == F.col("_lost_th")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lost", i)), "\n")
-    return whole.withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    # positions that stay, by hashing, so that time grows with the lines of a text and not with their square
+    whole = once(whole, _at=F.when(F.col("_lost").isNotNull(), F.split("text", "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_at") - 1), "_lost"), lambda k: F.get("_at", k))
+    return whole.withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
 def report(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:

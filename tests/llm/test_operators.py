@@ -435,3 +435,11 @@ def test_toxic_words_of_any_length_and_learning_that_repeats(spark):
     labels = spark.createDataFrame([(k, int("scumbag" in t)) for k, t in enumerate(texts)] * 2, "doc_id long, toxic int")
     learnt = [toxicity.learn(d, labels, F.lit(True)).__getstate__() for d in (df.repartition(5), df.orderBy(F.desc("doc_id")).coalesce(1))]
     assert learnt[0] == learnt[1] and {"scumbag", "scum"} & {*learnt[0][0], *learnt[0][1]}
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    """A text of 200,000 lines, half of them repeated."""
+    text = "\n".join(f"line {k % 100_000} has words of its own a{k % 100_000} b{k % 100_000} c{k % 100_000} d{k % 100_000} e{k % 100_000}" for k in range(200_000))
+    df = rows(spark, [text, "line 7 has words of its own a7 b7 c7 d7 e7\nnew"], [5, 6])
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup(df).collect()}
+    assert out == {5: text[: text.index("\nline 0 ", 10)], 6: "new"}
