@@ -323,6 +323,43 @@ def test_audio_excerpts_and_noise(spark):
     assert [got[k][0] for k in range(10)] == [0, 0, 0, 0, 0, 5, 5, 7, 7, 9]
 
 
+def test_audio_a_hundred_recordings(spark):
+    """Vectors made audible, in groups of near copies: the links are those of all offsets of all pairs."""
+    r = np.random.default_rng(17)
+    groups = r.normal(size=(20, 64))
+    vectors = [g + r.normal(0, noise, 64) for g in groups for noise in (0, 0.03, 0.06, 0.1, 0.2)]
+    lists = [audio.fingerprint(audio.samples(audio.sonified(v))) for v in vectors]
+    want = {k: 0 for k in range(len(lists))}
+    for i, j in itertools.combinations(range(len(lists)), 2):
+        if (lists[i] != lists[j]).any() and audio.align(lists[i], lists[j])[2] <= 0.15:
+            want[i] += 1
+            want[j] += 1
+    same = {k: sum((x == y).all() for y in lists) for k, x in enumerate(lists)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "id long, v array<double>").repartition(3)
+    got = {x["id"]: (x["n_links"], x["n_copies"]) for x in audio.match(audio.fingerprints(df, audio.sonified, ["v"], "id")).collect()}
+    assert sum(want.values()) > 100 and all(c == 1 for c in same.values())
+    assert got == {k: (want[k], same[k]) for k in want}
+
+
+def test_audio_integers_around_votes(spark):
+    """The condition of the join is that of counting the bits of the integers that both lists have around the votes."""
+    r = np.random.default_rng(23)
+    rows, want = [], []
+    for _ in range(300):
+        n, m = r.integers(3, 30, 2)
+        a = r.integers(0, 2**32, n, dtype=np.uint32)
+        i, j = r.integers(0, n), r.integers(0, m)
+        b = a[np.clip(np.arange(m) + i - j, 0, n - 1)] ^ (r.random(m) < 0.5) * r.integers(0, 2**32, m, dtype=np.uint32)
+        pairs = [(a[i + d], b[j + d]) for d in audio.AROUND if 0 <= i + d < n and 0 <= j + d < m]
+        wrong = sum(int(x ^ y).bit_count() for x, y in pairs)
+        want.append(wrong <= audio.LOOSE * 0.15 * 32 * len(pairs))
+        side = lambda fp, at: (len(fp), int(at), *audio.around(fp, np.array([at]))[0].tolist())
+        rows.append((side(a, i), side(b, j)))
+    kind = "struct<n:int,at:int,c0:long,c1:long,c2:long,c3:long>"
+    got = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], f"k int, x {kind}, y {kind}").select("k", audio.alike_around(0.15).alias("alike")).collect()
+    assert [x["alike"] for x in sorted(got)] == want and 20 < sum(want) < 280
+
+
 def test_audio_widths_and_short_recordings(spark):
     r = np.random.default_rng(3)
     x = np.concatenate([0.5 * np.sin(2 * np.pi * 220 * 2 ** (t / 12) * np.arange(3000) / audio.RATE) for t in r.integers(0, 24, 20)])
