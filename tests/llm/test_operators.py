@@ -336,28 +336,29 @@ def test_audio_a_hundred_recordings(spark):
             want[j] += 1
     same = {k: sum((x == y).all() for y in lists) for k, x in enumerate(lists)}
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "id long, v array<double>").repartition(3)
-    got = {x["id"]: (x["n_links"], x["n_copies"]) for x in audio.match(audio.fingerprints(df, audio.sonified, ["v"], "id")).collect()}
+    got = {x["id"]: (x["n_links"], x["n_copies"]) for x in audio.match(audio.fingerprints(df, audio.sonified, ["v"], "id"), block=3).collect()}
     assert sum(want.values()) > 100 and all(c == 1 for c in same.values())
     assert got == {k: (want[k], same[k]) for k in want}
 
 
-def test_audio_integers_around_votes(spark):
-    """The condition of the join is that of counting the bits of the integers that both lists have around the votes."""
+def test_audio_integers_around_votes():
+    """Votes count where the integers that both lists have around them say so, counted one by one."""
     r = np.random.default_rng(23)
-    rows, want = [], []
+    told = []
     for _ in range(300):
         n, m = r.integers(3, 30, 2)
         a = r.integers(0, 2**32, n, dtype=np.uint32)
         i, j = r.integers(0, n), r.integers(0, m)
-        b = a[np.clip(np.arange(m) + i - j, 0, n - 1)] ^ (r.random(m) < 0.5) * r.integers(0, 2**32, m, dtype=np.uint32)
+        b = a[np.clip(np.arange(m) + i - j, 0, n - 1)] ^ ((r.random(m) < 0.5) * r.integers(0, 2**32, m)).astype(np.uint32)
         pairs = [(a[i + d], b[j + d]) for d in audio.AROUND if 0 <= i + d < n and 0 <= j + d < m]
+        overlap = sum(1 for k in range(n) if 0 <= k + j - i < m)
         wrong = sum(int(x ^ y).bit_count() for x, y in pairs)
-        want.append(wrong <= audio.LOOSE * 0.15 * 32 * len(pairs))
-        side = lambda fp, at: (len(fp), int(at), *audio.around(fp, np.array([at]))[0].tolist())
-        rows.append((side(a, i), side(b, j)))
-    kind = "struct<n:int,at:int,c0:long,c1:long,c2:long,c3:long>"
-    got = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], f"k int, x {kind}, y {kind}").select("k", audio.alike_around(0.15).alias("alike")).collect()
-    assert [x["alike"] for x in sorted(got)] == want and 20 < sum(want) < 280
+        want = overlap >= audio.least_overlap(n, m) and wrong <= audio.LOOSE * 0.15 * 32 * len(pairs)
+        near = np.concatenate([audio.around(a, np.array([i])), audio.around(b, np.array([j]))])
+        got, bits = audio.alike(np.array([n, m]), np.array([i, j]), near, np.array([0]), np.array([1]), 0.15)
+        assert (len(got) > 0) == want and (not want or bits[0] == wrong)
+        told.append(want)
+    assert 20 < sum(told) < 280
 
 
 def test_audio_widths_and_short_recordings(spark):
