@@ -11,11 +11,12 @@ and no integer need be equal. Lists that are equal are one class and are compare
 
 Candidates come from an offset histogram: an offset gets a vote for every two bytes that are equal at a position and again APART
 positions later, for each of the six pairs of bytes; of a run of the same bytes only both ends vote. A vote counts if the integers
-at eight positions around it (AROUND, as far as both lists have them) differ in at most LOOSE times `errors` of their bits. Of the
-votes of a key each row gives two at most, the best of all and the best among earlier rows; those whose whole overlap is alike put
-lists into components. Only inside a component all pairs with a vote are decided by the bits of their offsets, and links are counted
-there and never written as pairs. Keys and components of more than `block` rows are cut into parts, and each two parts meet in a
-place of their own. This is a filter and not a proof: bit errors can be spread so that a match gets no vote, as the README says.
+at eight positions around it (AROUND, as far as both lists have them) differ in at most LOOSE times `errors` of their bits. Votes whose
+whole overlap is alike put lists into components, in two rounds: first each row of a key gives two votes, the best of all and the best
+among earlier rows, which joins most groups; then all votes that count between lists of different components are decided, so a
+better vote that proves wrong hides none. Inside a component all pairs with a vote are decided by the bits of their offsets, and links
+are counted there and never written as pairs. Keys and components of more than `block` rows are cut into parts, and each two parts meet
+in a place of their own. This is a filter and not a proof: bit errors can be spread so that a match gets no vote, as the README says.
 Lists that may match by less than LEAST also vote by equal integers.
 
 Defined cases: null audio and audio that can't be read give an empty list, which matches nothing but is a class with its like; so does
@@ -223,7 +224,8 @@ def votes(group: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, ne
 
 
 def best_votes(group: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, near: np.ndarray, errors: float, side: np.ndarray | None = None) -> pd.DataFrame:
-    """a, b and offset of two votes of each row at most: that with the fewest differing bits, and that among earlier rows."""
+    """a, b and offset of two votes of each row at most: that with the fewest differing bits, and that among earlier rows. A first
+    choice only: votes_across gives the rest."""
     none = np.iinfo(np.int64).max
     best = np.full((2, len(group)), none)
     for x, y, wrong in votes(group, node, n, at, near, errors, side):
@@ -236,6 +238,13 @@ def best_votes(group: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarra
     return pd.DataFrame({"a": node[x], "b": node[y], "offset": at[y] - at[x]}).drop_duplicates()
 
 
+def votes_across(group: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, near: np.ndarray, errors: float, side: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """a, b and offset of every vote that counts, of rows of different roots."""
+    for x, y, _ in votes(group, root, n, at, near, errors, side):
+        x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+        yield pd.DataFrame({"a": node[x], "b": node[y], "offset": at[y] - at[x]}).drop_duplicates()
+
+
 def linked(lists: list[np.ndarray], side: np.ndarray, errors: float) -> np.ndarray:
     """The number of lists that each one matches, of those of the other side, or of all if there is one side."""
     each = [postings(x) for x in lists]
@@ -325,7 +334,8 @@ def match(prints: DataFrame, errors: float = 0.15, block: int = 1024) -> DataFra
                 lists = [np.frombuffer(x, "<u4") for x in part["fp"]]
                 each = [postings(x) for x in lists]
                 size = [len(k) for k, _ in each]
-                rows = {"node": np.repeat(part["node"].to_numpy(), size), "n": np.repeat([len(x) for x in lists], size), "at": np.concatenate([x for _, x in each]), "key": np.concatenate([k for k, _ in each])}
+                rows = {c: np.repeat(part[c].to_numpy(), size) for c in part.columns if c != "fp"}
+                rows |= {"n": np.repeat([len(x) for x in lists], size), "at": np.concatenate([x for _, x in each]), "key": np.concatenate([k for k, _ in each])}
                 near = [row.tobytes() for x, (_, at) in zip(lists, each, strict=True) for row in around(x, at)]
                 yield pd.DataFrame(rows | {"near": near})
 
@@ -334,25 +344,20 @@ def match(prints: DataFrame, errors: float = 0.15, block: int = 1024) -> DataFra
         return frame["node"].to_numpy(), frame["n"].to_numpy(np.int64), frame["at"].to_numpy(np.int64), near
 
     def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of rows in the order of key: the best votes of each."""
+        """Of rows in the order of key: the best votes of each, or where roots are known all between them."""
         for frame in whole_groups(frames, ["key"]):
-            yield best_votes(frame["key"].to_numpy(), *arrays(frame), errors)
+            yield from chosen(frame["key"].to_numpy(), frame)
 
     def met_in_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["key", "i", "j"]):
             for _, g in frame.groupby(["key", "i", "j"]):
-                yield best_votes(np.zeros(len(g), np.int64), *arrays(g), errors, g["part"].to_numpy() if g["i"].iloc[0] != g["j"].iloc[0] else None)
-
-    posted_rows = "node long, n int, at int, key long, near binary"
-    edge = "a long, b long, offset int"
-    rows = classes.select("node", "fp").where("length(fp) > 0").mapInPandas(posted, posted_rows)
-    # the window brings the rows of a key together, in order; both branches read its one exchange
-    rows = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
-    small = rows.where(F.col("c") <= block).mapInPandas(met, edge)
-    large = rows.where(F.col("c") > block).withColumn("parts", F.ceil(F.col("c") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    large = in_parts(large).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(met_in_parts, edge)
-    edges = small.unionByName(large).distinct()
-    edges = edges.join(classes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(classes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+                yield from chosen(np.zeros(len(g), np.int64), g, g["part"].to_numpy() if g["i"].iloc[0] != g["j"].iloc[0] else None)
+
+    def chosen(group: np.ndarray, frame: pd.DataFrame, side: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+        if "root" in frame:
+            yield from votes_across(group, frame["root"].to_numpy(), *arrays(frame), errors, side)
+        else:
+            yield best_votes(group, *arrays(frame), errors, side)
 
     def sound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -366,7 +371,24 @@ def match(prints: DataFrame, errors: float = 0.15, block: int = 1024) -> DataFra
                 if len(g) > 1 and (side.min() != side.max() or g["i"].iloc[0] == g["j"].iloc[0]):
                     yield pd.DataFrame({"node": g["node"].to_numpy(), "links": linked([np.frombuffer(x, "<u4") for x in g["fp"]], side, errors)})
 
-    roots = components(edges.mapInPandas(sound, "a long, b long").distinct())
+    def voted(lists: DataFrame) -> DataFrame:
+        """a and b of the chosen votes whose whole overlap is alike."""
+        posted_rows = "node long, n int, at int, key long, near binary" + (", root long" if "root" in lists.columns else "")
+        edge = "a long, b long, offset int"
+        rows = lists.where("length(fp) > 0").mapInPandas(posted, posted_rows)
+        # the window brings the rows of a key together, in order; both branches read its one exchange
+        rows = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
+        small = rows.where(F.col("c") <= block).mapInPandas(met, edge)
+        large = rows.where(F.col("c") > block).withColumn("parts", F.ceil(F.col("c") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        large = in_parts(large).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(met_in_parts, edge)
+        edges = small.unionByName(large).distinct()
+        edges = edges.join(classes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(classes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+        return edges.mapInPandas(sound, "a long, b long").distinct()
+
+    roots = components(voted(classes.select("node", "fp")))
+    apart = classes.select("node", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    across = voted(apart)
+    roots = components(across.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     groups = roots.join(classes.select("node", "fp"), "node")
     # parts are bounded by their lists' bytes, too: postings take some 50 times as many
     parts = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.length("fp")) / (1 << 21))).cast("int").alias("parts"))

@@ -341,6 +341,27 @@ def test_audio_a_hundred_recordings(spark):
     assert got == {k: (want[k], same[k]) for k in want}
 
 
+def test_audio_better_votes_hide_no_match(spark):
+    """Two lists whose only common vote is worse than those that each has for a score of lists that don't match."""
+    r = np.random.default_rng(5)
+    a = r.integers(0, 1 << 32, 50, dtype=np.uint32)
+    flip = sum(np.uint32(1) << (r.integers(0, 8, 50, dtype=np.uint32) + np.uint32(8 * k)) for k in range(4)).astype(np.uint32)
+    flip[[24, 26]] &= np.uint32(0xFFFF0000)  # one pair of bytes is equal, twice
+    b = a ^ flip
+    made = []
+    for x in [a, b] * 20:
+        other = r.integers(0, 1 << 32, 50, dtype=np.uint32)
+        other[17:34] = x[17:34]
+        made.append(other)
+    made += [a, b]
+    links = [sum(i != j and audio.align(x, y)[2] <= 0.15 for j, y in enumerate(made)) for i, x in enumerate(made)]
+    assert links == [0] * 40 + [1, 1]
+    rows = [(k, 50, bytearray(x.astype("<u4").tobytes()), k, k) for k, x in enumerate(made)]
+    prints = spark.createDataFrame(rows, "id long, n int, fp binary, crc long, node long")
+    got = {x["id"]: (x["class_id"], x["n_links"]) for x in audio.match(prints).collect()}
+    assert got == {k: (min(k, 40), links[k]) for k in range(len(made))}
+
+
 def test_audio_integers_around_votes():
     """Votes count where the integers that both lists have around them say so, counted one by one."""
     r = np.random.default_rng(23)
