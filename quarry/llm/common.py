@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -33,11 +40,39 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+    """Writes df as Parquet and reads it again. Its shuffle files go as soon as it is written, not when the driver happens to collect
+    its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and lost executors lose nothing."""
+    """df, written in the shared folder: lineage ends there, and lost executors lose nothing."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (folders := _SCRATCH.get()) is not None:
+        folders.append(path)
+    return written(df, path, compression)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stage() writes inside goes at the end, so nothing that is read later may depend on it."""
+    folders: list[str] = []
+    token = _SCRATCH.set(folders)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in folders:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def write_blobs(df: DataFrame, path: str, end: str, folder: str | None = None) -> None:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage
+from quarry.llm.common import new_path, scratch, stage, written
 
 BUCKETS = 1 << 15
 BLANKS = " \t\r\f\u000b"
@@ -124,9 +124,12 @@ def matches(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[DataFr
 
 def removed(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """doc_id, th and gone (ascending positions, from 0) of the documents that lose lines."""
-    places, told = matches(docs, threshold, n)
-    gone = places.join(told, "lid").where(F.col("near") | (F.struct("doc_id", "th", "pos") != F.col("first")))
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    path = new_path(docs.sparkSession, "gone")
+    with scratch(docs.sparkSession):
+        places, told = matches(docs, threshold, n)
+        gone = places.join(told, "lid").where(F.col("near") | (F.struct("doc_id", "th", "pos") != F.col("first")))
+        gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+        return written(gone, path)
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:

@@ -4,8 +4,10 @@ import base64
 import hashlib
 import io
 import itertools
+import os
 import random
 import re
+import time
 import tracemalloc
 import wave
 import zlib
@@ -341,6 +343,22 @@ def test_audio_a_hundred_recordings(spark):
     assert got == {k: (want[k], same[k]) for k in want}
 
 
+def test_staged_tables_and_line_dedup_leave_little_on_disk(spark):
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    folders = lambda: set(os.listdir(common.shared_dir(spark).removeprefix("file:")))
+    before = held()
+    common.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before  # without waiting for the driver's garbage
+    there = folders()
+    docs = spark.createDataFrame([(1, "one two three four five six\nseven"), (2, "one two three four five six"), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.report(docs).collect()} == {1: "", 2: "0", 3: ""}
+    assert {x.split("-")[0] for x in folders() - there} == {"gone"}
+
+
 def test_audio_better_votes_hide_no_match(spark):
     """Two lists whose only common vote is worse than those that each has for a score of lists that don't match."""
     r = np.random.default_rng(5)
