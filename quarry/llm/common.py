@@ -88,6 +88,12 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Batches of whole texts between the JVM and Python are of 1000 rows from here on: of Spark's 10,000 rows each worker holds a batch
+    several times over, and so does the JVM, outside its heap. Results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def only(docs: DataFrame, test: Callable[[list[str | None]], np.ndarray], column: str = "text") -> DataFrame:
     """The rows whose text passes the test, which gets the texts of a batch; all columns go through as they are."""
     at = docs.columns.index(column)

@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -359,6 +360,14 @@ def test_staged_tables_and_line_dedup_leave_little_on_disk(spark):
     assert {x.split("-")[0] for x in folders() - there} == {"gone"}
 
 
+def test_batches_of_whole_texts_are_short(spark):
+    docs = spark.createDataFrame([(k, f"some words {k}", "en") for k in range(3000)], "doc_id long, text string, lang string").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert langid.known(docs).count() == 3000
+    sizes = [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 3000
+
+
 def test_audio_better_votes_hide_no_match(spark):
     """Two lists whose only common vote is worse than those that each has for a score of lists that don't match."""
     r = np.random.default_rng(5)
