@@ -108,8 +108,8 @@ class SegmentTreeBPE:
                 put(before[i], key(before[i], i))
         return [x for x in ids if x >= 0]
 
-    def _merge_many(self, words: list[bytes], width: int) -> list[np.ndarray]:
-        """The trees of words of at most `width` bytes, a power of two, side by side."""
+    def _merge_many(self, words: list[bytes], width: int) -> list[bytes]:
+        """The trees of words of at most `width` bytes, a power of two, side by side; the bytes of the ids of each."""
         m = len(words)
         flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(m, width)
         lens = np.fromiter(map(len, words), np.int64, m)
@@ -165,8 +165,9 @@ class SegmentTreeBPE:
                 flat_tree[top3 + node] = np.minimum(flat_tree[at], flat_tree[at + 1])
             row = row[flat_tree[top + 1] < NONE]
         keep = ids >= 0
-        out = ids[keep].astype(self.dtype)
-        return np.split(out, np.cumsum(keep.sum(1))[:-1])
+        out = ids[keep].astype(self.dtype).tobytes()
+        ends = (keep.sum(1).cumsum() * self.dtype.itemsize).tolist()
+        return [out[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of pre-tokens, each as the bytes of an array of self.dtype."""
@@ -183,7 +184,7 @@ class SegmentTreeBPE:
             for s in range(0, len(places), step):
                 part = places[s : s + step]
                 for k, x in zip(part, self._merge_many([words[k] for k in part], width), strict=True):
-                    out[k] = x.tobytes()
+                    out[k] = x
         return out
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:

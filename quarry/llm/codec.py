@@ -22,6 +22,7 @@ class Decoder:
 
     def __init__(self, path: str, keep: int = 300_000):
         self.tree, self.keep, self.known = bpe.load(path), keep, {}
+        self.code = self.tree.dtype.char  # of the machine's byte order, which is little-endian as the tree's dtype
 
     def run(self, ids: bytes) -> bytes:
         """The bytes that a run of ids, as an array of the tree's dtype, stands for."""
@@ -30,7 +31,7 @@ class Decoder:
             if len(self.known) > self.keep:
                 self.known.clear()
             table = self.tree.bytes_of
-            found = self.known[ids] = b"".join([table[i] for i in np.frombuffer(ids, self.tree.dtype).tolist()])
+            found = self.known[ids] = b"".join([table[i] for i in memoryview(ids).cast(self.code)])
         return found
 
     def text(self, runs: list[bytes]) -> str:
@@ -81,14 +82,14 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, d = _held(tokenizer)
-        size, names = e.bpe.dtype.itemsize, [str(i) for i in range(e.bpe.size)]
+        names = [str(i) for i in range(e.bpe.size)]
         for frame in frames:
             texts, rows = _texts(frame), []
             for part in bpe.batches_of(texts):
                 for runs in e.batch(part):
                     ids = np.frombuffer(b"".join(runs), e.bpe.dtype)
                     listed = ",".join(map(names.__getitem__, ids.tolist()))
-                    rows.append((len(ids.tobytes()) // size, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(d.text(runs).encode()).hexdigest()))
+                    rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(d.text(runs).encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").array, "n_tokens": np.array(n, np.int64), "ids_sha256": list(a), "decoded_sha256": list(b)})
 
