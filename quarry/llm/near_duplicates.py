@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage
+from quarry.llm.common import short_batches, stage
 from quarry.llm.components import components
 
 BANDS, WIDE = 24, 4
@@ -256,6 +256,7 @@ def _classed(docs: DataFrame, threshold: float, words: int, tolerance: float, bl
     """Of every row: doc_id, text_key (128 bits) and node; and of every node: rep (the least doc_id and text_key of its group), n_links
     and n_copies."""
     spark = docs.sparkSession
+    short_batches(spark)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
     need = least_matches(threshold, tolerance)

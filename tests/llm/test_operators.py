@@ -368,6 +368,14 @@ def test_batches_of_whole_texts_are_short(spark):
     assert max(sizes) <= 1000 and sum(sizes) == 3000
 
 
+def test_near_duplicates_take_short_batches(spark):
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(3000)], "doc_id long, text string").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert near_duplicates.join(docs).count() == 3000
+    sizes = [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 3000
+
+
 def test_audio_better_votes_hide_no_match(spark):
     """Two lists whose only common vote is worse than those that each has for a score of lists that don't match."""
     r = np.random.default_rng(5)
